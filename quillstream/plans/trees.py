@@ -20,6 +20,24 @@ def p5_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.where(F.col("depth") >= 0).select("id", "root_id", (F.col("size") - 1).alias("n_descendants"))
 
 
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path of each node in compact form: the chains from the root down, each with the last place used.
+
+    The members of a chain are the rows with its ``head``, by ``pos``; ``expand_paths`` writes the ids out.
+    """
+    labels = hierarchy(table(spark, sf_dir, "hn_items").select("id", "kids", "fetched_at"), detail=True)
+    return labels.select("id", "root_id", "depth", "head", "pos", "segments")
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants of each node in compact form: those of its root with ``pre`` in ``(pre, pre + size)``.
+
+    ``expand_descendants`` writes the pairs out.
+    """
+    labels = hierarchy(table(spark, sf_dir, "hn_items").select("id", "kids", "fetched_at"), detail=True)
+    return labels.select("id", "root_id", "depth", "pre", "size")
+
+
 _LINKS = """
 WITH RECURSIVE newest AS (
   SELECT id, kids FROM (SELECT id, kids, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC, kids DESC) AS r FROM hn_items WHERE id IS NOT NULL)
@@ -57,5 +75,5 @@ SELECT d.id, d.root_id, coalesce(c.n, 0)::BIGINT AS n_descendants
 FROM down d LEFT JOIN (SELECT anc, count(*) AS n FROM up GROUP BY anc) c ON c.anc = d.id"""
 )
 
-QUERIES = {"p5_found": p5_found, "p5_subtrees": p5_subtrees}
+QUERIES = {"p5_found": p5_found, "p5_subtrees": p5_subtrees, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
 SQL = {"p5_found": _FOUND, "p5_subtrees": _SUBTREES}
