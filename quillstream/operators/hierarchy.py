@@ -81,11 +81,11 @@ def _sizes_and_cyclic(st: Staging, links: DataFrame) -> tuple[DataFrame, DataFra
     return st.cut(sizes, "sizes"), st.cut(cyclic, "cyclic")
 
 
-def _resolve_cycles(st: Staging, cyclic: DataFrame) -> DataFrame:
-    """``id, root_id, depth`` of the nodes on (-1) or below (-2) cycles."""
+def _resolve_cycles(st: Staging, cyclic: DataFrame, keep: bool = False) -> DataFrame:
+    """``id, root_id, depth`` of the nodes on (-1) or below (-2) cycles; with ``keep``, ``cyclic`` stays staged."""
     cur = cyclic.select("id", F.col("parent").alias("anc"), F.col("id").alias("m"))
     seen = None
-    staged = cyclic
+    staged = None if keep else cyclic
     while True:
         up = cur.select(F.col("id").alias("u"), F.col("anc").alias("next"), F.col("m").alias("m2"))
         nxt = st.cut(
@@ -108,6 +108,17 @@ def _resolve_cycles(st: Staging, cyclic: DataFrame) -> DataFrame:
     )
 
 
+def _opened(st: Staging, cyclic: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cycle labels, and the sizes of the trees left when the link into each cycle's smallest id is cut."""
+    caught = st.cut(_resolve_cycles(st, cyclic, keep=True), "caught")
+    first = caught.where((F.col("depth") == CYCLE) & (F.col("id") == F.col("root_id"))).select("id", F.lit(True).alias("first"))
+    opened = st.cut(
+        cyclic.join(first, "id", "left").select("id", F.when(F.col("first").isNull(), F.col("parent")).alias("parent")),
+        "opened",
+    )
+    return caught, _sizes_and_cyclic(st, opened)[0]
+
+
 def _chains(st: Staging, sizes: DataFrame) -> DataFrame:
     """Adds ``head`` and ``pos`` to each tree node: its chain's first node and its place in it."""
     heavy = (
@@ -198,22 +209,40 @@ def label_trees(links: DataFrame, detail: bool = False) -> DataFrame:
     smallest id of the cycle as root. With ``detail`` also ``size`` (nodes of the subtree, itself
     included), ``head`` and ``pos`` (heavy chain and place in it), ``segments`` (the chains above, each
     with the last place used, from the root down) and ``pre``: the descendants of a node are the nodes
-    of the same root with ``pre`` in ``(pre, pre + size)``. These are null for cyclic nodes.
+    of the same root with ``pre`` in ``(pre, pre + size)``. A cycle is opened before its smallest id, so
+    the labels of a node on or below one give its path from there. On a cycle everything else with the
+    same root is a descendant: ``size`` is the number of all these nodes, ``pre`` only a place.
     """
     st = Staging(links.sparkSession, "trees")
     links = st.cut(links.select("id", "parent"), "links")
     sizes, cyclic = _sizes_and_cyclic(st, links)
+    closed = not cyclic.isEmpty()
+    caught = None
+    if detail and closed:
+        caught, more = _opened(st, cyclic)
+        sizes = sizes.unionByName(more)
     placed = _chains(st, sizes)
     chains = _chain_depths(st, placed, detail)
     joined = placed.join(chains, "head")
     depth = (F.col("head_depth") + F.col("pos")).alias("depth")
     if not detail:
         trees = joined.select("id", "root_id", depth)
-    else:
-        trees = joined.select("id", "root_id", depth, "size", "head", "pos", "segments", (F.col("head_pre") + F.col("pos")).alias("pre"))
-    if cyclic.isEmpty():
+        return trees.unionByName(_resolve_cycles(st, cyclic)) if closed else trees
+    trees = joined.select("id", "root_id", depth, "size", "head", "pos", "segments", (F.col("head_pre") + F.col("pos")).alias("pre"))
+    if not closed:
         return trees
-    return trees.unionByName(_resolve_cycles(st, cyclic), allowMissingColumns=True)
+    whole = sizes.join(caught.where("id = root_id"), "id", "left_semi").select(F.col("id").alias("root_id"), F.col("size").alias("whole"))
+    marks = caught.join(whole, "root_id").select("id", F.col("depth").alias("mark"), "whole")
+    return trees.join(marks, "id", "left").select(
+        "id",
+        "root_id",
+        F.coalesce("mark", "depth").alias("depth"),
+        F.when(F.col("mark") == CYCLE, F.col("whole")).otherwise(F.col("size")).alias("size"),
+        "head",
+        "pos",
+        "segments",
+        "pre",
+    )
 
 
 def hierarchy(rows: DataFrame, id_col: str = "id", kids_col: str = "kids", version_col: str = "fetched_at", detail: bool = False) -> DataFrame:
@@ -222,12 +251,12 @@ def hierarchy(rows: DataFrame, id_col: str = "id", kids_col: str = "kids", versi
 
 
 def expand_paths(labels: DataFrame) -> DataFrame:
-    """``id, path`` (array of ids from the root) by concatenating chain segments of ``label_trees(detail=True)``.
+    """``id, path`` (array of ids from the root, or from the smallest id of the cycle) by concatenating chain segments of ``label_trees(detail=True)``.
 
     The output holds depth + 1 ids a row; ask for it where such a table is wanted.
     """
     st = Staging(labels.sparkSession, "paths")
-    trees = st.cut(labels.where(F.col("depth") >= 0).select("id", "head", "pos", "segments"), "labels")
+    trees = st.cut(labels.select("id", "head", "pos", "segments"), "labels")
     own = F.array(F.struct(F.col("head").alias("chain"), F.col("pos").alias("upto")))
     pieces = trees.select("id", F.posexplode(F.concat("segments", own)).alias("seg_no", "seg"))
     members = trees.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("members"))
@@ -238,4 +267,7 @@ def expand_paths(labels: DataFrame) -> DataFrame:
 
 def expand_descendants(labels: DataFrame) -> DataFrame:
     """``ancestor, descendant`` pairs, from the chain segments above each node (output-sized)."""
-    return expand_paths(labels).select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"), F.col("id").alias("descendant"))
+    paths = expand_paths(labels).select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"), F.col("id").alias("descendant"))
+    on = labels.where(F.col("depth") == CYCLE).select(F.col("id").alias("ancestor"), "root_id")
+    around = on.join(labels.select(F.col("id").alias("descendant"), "root_id"), "root_id").where("ancestor <> descendant")
+    return paths.join(on, "ancestor", "left_anti").unionByName(around.select("ancestor", "descendant"))

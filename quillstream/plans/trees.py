@@ -15,7 +15,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of descendants of each node in a tree, from its chain interval."""
+    """Number of descendants of each node in a tree; ``p5_counts`` has every id."""
     labels = hierarchy(table(spark, sf_dir, "hn_items").select("id", "kids", "fetched_at"), detail=True)
     return labels.where(F.col("depth") >= 0).select("id", "root_id", (F.col("size") - 1).alias("n_descendants"))
 
@@ -38,6 +38,12 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("id", "root_id", "depth", "pre", "size")
 
 
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of descendants of every id: below a cycle its own subtree, on a cycle all else with that root."""
+    labels = hierarchy(table(spark, sf_dir, "hn_items").select("id", "kids", "fetched_at"), detail=True)
+    return labels.select("id", "root_id", "depth", (F.col("size") - 1).alias("n_descendants"))
+
+
 _LINKS = """
 WITH RECURSIVE newest AS (
   SELECT id, kids FROM (SELECT id, kids, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC, kids DESC) AS r FROM hn_items WHERE id IS NOT NULL)
@@ -75,5 +81,22 @@ SELECT d.id, d.root_id, coalesce(c.n, 0)::BIGINT AS n_descendants
 FROM down d LEFT JOIN (SELECT anc, count(*) AS n FROM up GROUP BY anc) c ON c.anc = d.id"""
 )
 
-QUERIES = {"p5_found": p5_found, "p5_subtrees": p5_subtrees, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
-SQL = {"p5_found": _FOUND, "p5_subtrees": _SUBTREES}
+_COUNTS = (
+    _FOUND.partition("\nSELECT id, root_id, depth FROM down")[0]
+    + """,
+found AS (
+  SELECT id, root_id, depth FROM down
+  UNION ALL
+  SELECT id, root_id, CASE WHEN id IN (SELECT id FROM ring) THEN -1 ELSE -2 END::BIGINT AS depth FROM ring_root
+),
+up AS (
+  SELECT d.id, l.parent AS anc FROM down d JOIN links l ON l.id = d.id WHERE l.parent IS NOT NULL
+  UNION ALL SELECT u.id, l.parent FROM up u JOIN links l ON l.id = u.anc WHERE l.parent IS NOT NULL
+),
+above AS (SELECT id, anc FROM up UNION ALL SELECT id, anc FROM reach WHERE id <> anc)
+SELECT f.id, f.root_id, f.depth, coalesce(c.n, 0)::BIGINT AS n_descendants
+FROM found f LEFT JOIN (SELECT anc, count(*) AS n FROM above GROUP BY anc) c ON c.anc = f.id"""
+)
+
+QUERIES = {"p5_found": p5_found, "p5_subtrees": p5_subtrees, "p5_paths": p5_paths, "p5_descendants": p5_descendants, "p5_counts": p5_counts}
+SQL = {"p5_found": _FOUND, "p5_subtrees": _SUBTREES, "p5_counts": _COUNTS}

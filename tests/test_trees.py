@@ -47,3 +47,21 @@ def test_compact_queries_hold_paths_and_descendants(spark, tmp_path):
     for r in spans:
         under = {x.id for x in spans if x.root_id == r.root_id and r.pre < x.pre < r.pre + r.size}
         assert under == {i for i in parents if i != r.id and r.id in path_of(parents, i)}
+
+
+def test_nodes_on_and_below_cycles_have_paths_and_descendants(spark):
+    parents = {1: None, 2: 1, 12: 10, 10: 11, 11: 12, 20: 11, 21: 20, 22: 20, 23: 21, 30: 12, 5: 5, 6: 5}
+    labels = label_trees(frame(spark, parents), detail=True)
+    rows = {r.id: r for r in labels.collect()}
+    assert {i: (r.root_id, r.depth, r.size) for i, r in rows.items()} == {
+        **{1: (1, 0, 2), 2: (1, 1, 1), 5: (5, -1, 2), 6: (5, -2, 1)},
+        **{i: (10, -1, 8) for i in (10, 11, 12)},
+        **{20: (10, -2, 4), 21: (10, -2, 2), 22: (10, -2, 1), 23: (10, -2, 1), 30: (10, -2, 1)},
+    }
+    paths = {r.id: list(r.path) for r in expand_paths(labels).collect()}
+    assert paths[23] == [10, 12, 11, 20, 21, 23] and paths[30] == [10, 12, 30] and paths[6] == [5, 6]
+    pairs = {}
+    for r in expand_descendants(labels).collect():
+        pairs.setdefault(r.ancestor, []).append(r.descendant)
+    ring = {10, 11, 12, 20, 21, 22, 23, 30}
+    assert {a: sorted(d) for a, d in pairs.items()} == {1: [2], 5: [6], 20: [21, 22, 23], 21: [23], **{i: sorted(ring - {i}) for i in (10, 11, 12)}}
