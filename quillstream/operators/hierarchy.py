@@ -21,6 +21,8 @@ from quillstream.staging import Staging
 CYCLE, BELOW_CYCLE = -1, -2
 #: Siblings per block of the two-level prefix sum.
 SIBLING_BLOCK = 50_000
+#: Places of a chain gathered at once, and places in preorder joined at once.
+CHAIN_BLOCK, PRE_BLOCK = 1_000, 1_000
 
 
 def latest_children(rows: DataFrame, id_col: str, kids_col: str, version_col: str) -> DataFrame:
@@ -250,24 +252,37 @@ def hierarchy(rows: DataFrame, id_col: str = "id", kids_col: str = "kids", versi
     return label_trees(parent_links(latest_children(rows, id_col, kids_col, version_col)), detail)
 
 
-def expand_paths(labels: DataFrame) -> DataFrame:
+def expand_paths(labels: DataFrame, block: int = CHAIN_BLOCK) -> DataFrame:
     """``id, path`` (array of ids from the root, or from the smallest id of the cycle) by concatenating chain segments of ``label_trees(detail=True)``.
 
-    The output holds depth + 1 ids a row; ask for it where such a table is wanted.
+    Chains are gathered in blocks of ``block`` places. The output holds depth + 1 ids a row; ask for it where such a table is wanted.
     """
     st = Staging(labels.sparkSession, "paths")
     trees = st.cut(labels.select("id", "head", "pos", "segments"), "labels")
     own = F.array(F.struct(F.col("head").alias("chain"), F.col("pos").alias("upto")))
     pieces = trees.select("id", F.posexplode(F.concat("segments", own)).alias("seg_no", "seg"))
-    members = trees.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("members"))
-    parts = pieces.select("id", "seg_no", F.col("seg.chain").alias("head"), F.col("seg.upto").alias("upto")).join(members, "head")
-    cut = parts.select("id", "seg_no", F.slice("members", 1, (F.col("upto") + 1).cast("int"))["id"].alias("ids"))
-    return cut.groupBy("id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("seg_no", "ids")))["ids"]).alias("path"))
-
-
-def expand_descendants(labels: DataFrame) -> DataFrame:
-    """``ancestor, descendant`` pairs, from the chain segments above each node (output-sized)."""
-    paths = expand_paths(labels).select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"), F.col("id").alias("descendant"))
-    on = labels.where(F.col("depth") == CYCLE).select(F.col("id").alias("ancestor"), "root_id")
-    around = on.join(labels.select(F.col("id").alias("descendant"), "root_id"), "root_id").where("ancestor <> descendant")
-    return paths.join(on, "ancestor", "left_anti").unionByName(around.select("ancestor", "descendant"))
+    of = lambda c: F.floor(F.col(c) / block)
+    members = trees.groupBy("head", of("pos").alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("members"))
+    parts = pieces.select("id", "seg_no", F.col("seg.chain").alias("head"), F.col("seg.upto").alias("upto"))
+    parts = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), of("upto")))).join(members, ["head", "block"])
+    used = F.least(F.lit(block), F.col("upto") - F.col("block") * block + 1).cast("int")
+    cut = parts.select("id", "seg_no", "block", F.slice("members", F.lit(1), used)["id"].alias("ids"))
+    return cut.groupBy("id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("seg_no", "block", "ids")))["ids"]).alias("path"))
+
+
+def expand_descendants(labels: DataFrame, block: int = PRE_BLOCK) -> DataFrame:
+    """``ancestor, descendant`` pairs (output-sized): a range join of ``(root_id, pre, pre + size)`` in blocks of ``pre``."""
+    st = Staging(labels.sparkSession, "descendants")
+    trees = st.cut(labels.select("id", "root_id", "depth", "pre", "size"), "labels")
+    on = F.col("depth") == CYCLE
+    spans = trees.select(
+        F.col("id").alias("ancestor"),
+        "root_id",
+        F.when(on, 0).otherwise(F.col("pre") + 1).alias("first"),
+        F.when(on, F.col("size") - 1).otherwise(F.col("pre") + F.col("size") - 1).alias("last"),
+    ).where("last >= first")
+    of = lambda c: F.floor(F.col(c) / block)
+    spans = spans.withColumn("block", F.explode(F.sequence(of("first"), of("last"))))
+    nodes = trees.select(F.col("id").alias("descendant"), "root_id", "pre", of("pre").alias("block"))
+    pairs = spans.join(nodes, ["root_id", "block"]).where("pre BETWEEN first AND last AND descendant <> ancestor")
+    return pairs.select("ancestor", "descendant")

@@ -15,7 +15,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of descendants of each node in a tree; ``p5_counts`` has every id."""
+    """Number of descendants of each node in a tree, one less than its size; ``p5_counts`` has every id."""
     labels = hierarchy(table(spark, sf_dir, "hn_items").select("id", "kids", "fetched_at"), detail=True)
     return labels.where(F.col("depth") >= 0).select("id", "root_id", (F.col("size") - 1).alias("n_descendants"))
 

@@ -33,6 +33,17 @@ def test_paths_and_descendants_expand_to_brute_force(spark):
     assert sorted(pairs) == sorted((a, i) for i, path in want.items() for a in path[:-1])
 
 
+def test_expansions_go_by_blocks(spark):
+    parents = {i: i - 1 if i else None for i in range(40)} | {100: 5, 101: 100, 50: 51, 51: 50, 52: 51}
+    labels = label_trees(frame(spark, parents), detail=True)
+    ring = {50: [50], 51: [50, 51], 52: [50, 51, 52]}
+    want = {i: ring.get(i) or path_of(parents, i) for i in parents}
+    assert {r.id: list(r.path) for r in expand_paths(labels, block=7).collect()} == want
+    pairs = [tuple(r) for r in expand_descendants(labels, block=7).collect()]
+    trees = [(a, i) for i, path in want.items() if i not in ring for a in path[:-1]]
+    assert sorted(pairs) == sorted([*trees, (50, 51), (50, 52), (51, 50), (51, 52)])
+
+
 def test_compact_queries_hold_paths_and_descendants(spark, tmp_path):
     parents = forest(2, 100)
     rows = [(i, [k for k, p in parents.items() if p == i]) for i in parents]
