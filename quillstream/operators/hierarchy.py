@@ -215,6 +215,13 @@ def label_trees(links: DataFrame, detail: bool = False) -> DataFrame:
     the labels of a node on or below one give its path from there. On a cycle everything else with the
     same root is a descendant: ``size`` is the number of all these nodes, ``pre`` only a place.
     """
+    present = links.select(F.col("id").alias("parent"), F.lit(True).alias("present"))
+    known = links.select("id", "parent").join(present, "parent", "left")
+    return _label(known.select("id", F.when(F.col("present"), F.col("parent")).alias("parent")), detail)
+
+
+def _label(links: DataFrame, detail: bool) -> DataFrame:
+    """``label_trees`` of links whose parents all have a row."""
     st = Staging(links.sparkSession, "trees")
     links = st.cut(links.select("id", "parent"), "links")
     sizes, cyclic = _sizes_and_cyclic(st, links)
@@ -249,7 +256,7 @@ def label_trees(links: DataFrame, detail: bool = False) -> DataFrame:
 
 def hierarchy(rows: DataFrame, id_col: str = "id", kids_col: str = "kids", version_col: str = "fetched_at", detail: bool = False) -> DataFrame:
     """Labels (see ``label_trees``) of a table whose rows list their children; the newest row of an id counts."""
-    return label_trees(parent_links(latest_children(rows, id_col, kids_col, version_col)), detail)
+    return _label(parent_links(latest_children(rows, id_col, kids_col, version_col)), detail)
 
 
 def expand_paths(labels: DataFrame, block: int = CHAIN_BLOCK) -> DataFrame:

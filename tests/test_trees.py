@@ -76,3 +76,11 @@ def test_nodes_on_and_below_cycles_have_paths_and_descendants(spark):
         pairs.setdefault(r.ancestor, []).append(r.descendant)
     ring = {10, 11, 12, 20, 21, 22, 23, 30}
     assert {a: sorted(d) for a, d in pairs.items()} == {1: [2], 5: [6], 20: [21, 22, 23], 21: [23], **{i: sorted(ring - {i}) for i in (10, 11, 12)}}
+
+
+def test_parents_without_a_row_count_as_none(spark):
+    parents = {1: 99, 2: 1, 3: 2, 4: 98, 5: None, 6: 99}
+    for detail in (False, True):
+        rows = label_trees(frame(spark, parents), detail=detail).collect()
+        assert {r.id: (r.root_id, r.depth) for r in rows} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
+        assert len(rows) == 6
