@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trees",)
+MODULES = ("trees", "identity")
 
 
 def registered() -> tuple[dict, dict]:
