@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.pieces import long_items, pieces
+from quillstream.llm.sentences import sentence_ends, sentences
 from quillstream.sources.tables import table
 
 
@@ -18,6 +19,16 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "documents"), table(spark, sf_dir, "audio_chunks"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of each sentence of each document."""
+    return sentence_ends(table(spark, sf_dir, "documents"))
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences themselves with their places."""
+    return sentences(table(spark, sf_dir, "documents"))
+
+
 _LONG = r"""
 WITH latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY fetched_at DESC) AS r FROM audio_chunks WHERE chunk_id IS NOT NULL)
@@ -31,5 +42,5 @@ SELECT 'audio_chunk', chunk_id,
   CASE WHEN coalesce(len(segments), 0) = 0 OR len([s FOR s IN segments IF round(s.end_s - s.start_s, 3) > 300]) > 0 THEN 'yes' ELSE 'no' END
 FROM latest WHERE round(end_s - start_s, 3) > 300"""
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = {"p1_found": _LONG}
