@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.pieces import long_items, pieces
+from quillstream.llm.residue import clean_documents, found, residue_sentences
 from quillstream.llm.sentences import sentence_ends, sentences
 from quillstream.sources.tables import table
 
@@ -19,6 +20,21 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "documents"), table(spark, sf_dir, "audio_chunks"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are or hold template residue, filler, error messages or notices that scripts are needed."""
+    return found(table(spark, sf_dir, "documents"))
+
+
+def p2_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences by which they do, with their kinds."""
+    return residue_sentences(table(spark, sf_dir, "documents"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents free of them, whole."""
+    return clean_documents(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of each sentence of each document."""
     return sentence_ends(table(spark, sf_dir, "documents"))
@@ -42,5 +58,5 @@ SELECT 'audio_chunk', chunk_id,
   CASE WHEN coalesce(len(segments), 0) = 0 OR len([s FOR s IN segments IF round(s.end_s - s.start_s, 3) > 300]) > 0 THEN 'yes' ELSE 'no' END
 FROM latest WHERE round(end_s - start_s, 3) > 300"""
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_residues": p2_residues, "p2_clean": p2_clean, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = {"p1_found": _LONG}
