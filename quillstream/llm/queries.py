@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstream.llm.batches import repeats
 from quillstream.llm.boilerplate import boilerplate_lines, main_bodies
 from quillstream.llm.pieces import long_items, pieces
 from quillstream.llm.residue import clean_documents, found, residue_sentences
@@ -46,6 +47,11 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_bodies(table(spark, sf_dir, "article_pages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The announcements that bring nothing new, each with the earliest accepted one it repeats."""
+    return repeats(table(spark, sf_dir, "arxiv_announcements"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of each sentence of each document."""
     return sentence_ends(table(spark, sf_dir, "documents"))
@@ -69,5 +75,5 @@ SELECT 'audio_chunk', chunk_id,
   CASE WHEN coalesce(len(segments), 0) = 0 OR len([s FOR s IN segments IF round(s.end_s - s.start_s, 3) > 300]) > 0 THEN 'yes' ELSE 'no' END
 FROM latest WHERE round(end_s - start_s, 3) > 300"""
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_residues": p2_residues, "p2_clean": p2_clean, "p3_found": p3_found, "p3_bodies": p3_bodies, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_residues": p2_residues, "p2_clean": p2_clean, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = {"p1_found": _LONG}

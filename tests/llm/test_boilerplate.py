@@ -34,7 +34,7 @@ def test_bodies_on_frequent_and_rare_sites(spark):
     rng = random.Random(3)
     rows = pages_of(rng, "bigpost", 60, 0) + pages_of(rng, "midnews", 12, 100) + pages_of(rng, "oldkurier", 12, 200) + pages_of(rng, "rarenet", 1, 300)
     rows.append(rows[5])  # fetched again
-    rows.append((400, "https://www.copyist.example/x", "www.copyist.example", rows[7][3], rows[7][4]))  # a repost
+    rows.append((400, "https://www.copyist.example/x", "www.copyist.example", rows[7][3], rows[7][4].replace("Bigpost", "Copyist")))  # a repost
     frame = spark.createDataFrame([(*r, 7) for r in rows], "page_id bigint, url string, site string, title string, text string, line_no int")
     found = {(r.page_id, r.line_no) for r in boilerplate_lines(frame).collect()}
     assert found == {(r[0], n) for r in rows for n in (1, 4, 6, 9, 10, 11)}
