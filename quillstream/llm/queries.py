@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.batches import repeats
 from quillstream.llm.boilerplate import boilerplate_lines, main_bodies
+from quillstream.llm.mixing import mix_documents, shares
+from quillstream.llm.packing import pack_all, waste
 from quillstream.llm.pieces import long_items, pieces
 from quillstream.llm.residue import clean_documents, found, residue_sentences
 from quillstream.llm.sentences import sentence_ends, sentences
@@ -52,6 +54,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "arxiv_announcements"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or of each piece of one above the capacity, for the three container sizes."""
+    return pack_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_limits"))
+
+
+def p6_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, their lower bound and the space left unused, for the three container sizes."""
+    return waste(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_limits"))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is drawn."""
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each source: aimed at, and reached."""
+    return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of each sentence of each document."""
     return sentence_ends(table(spark, sf_dir, "documents"))
@@ -75,5 +97,5 @@ SELECT 'audio_chunk', chunk_id,
   CASE WHEN coalesce(len(segments), 0) = 0 OR len([s FOR s IN segments IF round(s.end_s - s.start_s, 3) > 300]) > 0 THEN 'yes' ELSE 'no' END
 FROM latest WHERE round(end_s - start_s, 3) > 300"""
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_residues": p2_residues, "p2_clean": p2_clean, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_residues": p2_residues, "p2_clean": p2_clean, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p6_packed": p6_packed, "p6_waste": p6_waste, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = {"p1_found": _LONG}
