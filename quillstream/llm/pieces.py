@@ -1,16 +1,23 @@
 """Cutting long documents and recordings into overlapping pieces at natural boundaries (problem 1).
 
-Positions count code points of a document, or milliseconds of a chunk. A piece is cut off every
-boundary only where no boundary lies within the limit, and the overlap shrinks rather than force
-such a cut. Each item is one row, and cutting it is one pass over its boundaries.
+Positions count code points of a document, or milliseconds of a chunk. Every boundary is joined to its
+farthest legal successor: the piece that follows a cut starts at the earliest boundary within the
+overlap before it and ends at the farthest one within the limit. The successor tables are then squared,
+and with each squaring the known cuts double, so that all greedy cuts of an item come out in as many
+array steps as the logarithm of their number. Where two boundaries lie further apart than the limit,
+places for cuts off every boundary are put between them; the overlap shrinks rather than force such a cut.
+
+Defined results: null texts and ranges have no pieces; items within the limit are left alone; a chunk's
+latest row counts; an item without any boundary is cut into full pieces; segments without times are
+left out.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import DataFrame
@@ -56,91 +63,99 @@ def long_chunks(chunks: DataFrame, *payload: str) -> DataFrame:
 
 
 def long_items(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``item_kind, item_id, must_break`` of each item above its limit."""
-    yes_no = lambda c: F.when(c, "yes").otherwise("no").alias("must_break")
-    runs = F.split("text", f"[{SPACE}{MARKS}]")
-    docs = long_documents(documents).select(
-        F.lit("document").alias("item_kind"), F.col("doc_id").alias("item_id"), yes_no(F.exists(runs, lambda r: F.char_length(r) > MAX_CHARS))
-    )
-    return docs.unionByName(long_chunks(chunks).select(F.lit("audio_chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), yes_no(F.col("unbroken"))))
-
-
-def _last(points: list[int], low: int, high: int) -> int | None:
-    """The last point in (low, high]."""
-    i = bisect_right(points, high)
-    return points[i - 1] if i and points[i - 1] > low else None
+    """``item_kind, item_id, must_break`` of each item above its limit: whether its pieces had to be cut off every boundary."""
+    off = F.max((~F.col("cut_at_boundary")).cast("int"))
+    found = pieces(documents, chunks, with_text=False).groupBy("item_kind", "item_id").agg(off.alias("off"))
+    return found.select("item_kind", "item_id", F.when(F.col("off") == 1, "yes").otherwise("no").alias("must_break"))
+
+
+def successors(places: np.ndarray, rank: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place a piece may end at: where the next piece starts, and the index of the place it ends at.
+
+    ``places`` ascend from 0 to the item's length, at most ``limit`` apart; ``rank`` is 2 for good boundaries,
+    1 for others, 0 for places off every boundary.
+    """
+    n = len(places)
+    index = np.arange(n)
+    following = np.append(places[1:], places[-1])
+    low = np.maximum(np.maximum(places - overlap, following - limit), 0)
+    start = places.copy()
+    for least in (1, 2):
+        # the earliest boundary from ``low`` on, if it lies before the cut; good ones win
+        those = np.flatnonzero(rank >= least)
+        if len(those):
+            at = np.searchsorted(places[those], low)
+            first = those[np.minimum(at, len(those) - 1)]
+            fits = (at < len(those)) & (places[first] < places) & (places[first] >= low)
+            start = np.where(fits, places[first], start)
+    start = np.where(rank == 0, low, start)
+    start[0] = 0
+    end = np.minimum(np.searchsorted(places, start + limit, side="right") - 1, n - 1)
+    best = end.copy()
+    for least in (1, 2):
+        # the last boundary within the limit; a good one only if it lies in the further half
+        last = np.maximum.accumulate(np.where(rank >= least, index, -1))[end]
+        fits = (last > index) & ((least == 1) | (places[np.maximum(last, 0)] - start > limit // 2))
+        best = np.where(fits, last, best)
+    best = np.where(places[-1] - start <= limit, n - 1, best)
+    return start, best
+
+
+def greedy_cuts(places: np.ndarray, rank: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
+    """``(start, end, at a boundary)`` of each piece, by squaring the successor table from the first place."""
+    start, jump = successors(places, rank, limit, overlap)
+    known = np.zeros(1, np.int64)
+    while True:
+        more = np.unique(np.append(known, jump[known]))
+        jump = jump[jump]
+        if len(more) == len(known):
+            break
+        known = more
+    return [(int(start[a]), int(places[b]), bool(rank[b])) for a, b in zip(known, known[1:])]
+
+
+def _filled(places: list[int], rank: list[int], limit: int, overlap: int, quiet: set[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Places no more than ``limit`` apart: those added are off every boundary, unless what follows them is quiet."""
+    out, ranks = [places[0]], [rank[0]]
+    for a, b, r in zip(places, places[1:], rank[1:]):
+        if b - a > limit:
+            added = list(range(a + limit, b, limit - overlap))
+            out += added
+            ranks += [1 if a in quiet else 0] * len(added)
+        out.append(b)
+        ranks.append(r)
+    return np.array(out, np.int64), np.array(ranks, np.int8)
 
 
 def cut_text(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[int, int, bool]]:
     """``(start, end, at a boundary)`` of each piece of ``text``."""
     n = len(text)
-    ranks = [[m.end() for m in kind.finditer(text) if m.end() < n] for kind in _BOUNDARIES]
-    every = sorted(set().union(*ranks, [n]))
-    sentences = sorted({*ranks[0], *ranks[1]})
-    out, start, done = [], 0, 0
-    while n - start > limit:
-        # a good boundary in the further half, else any, else none
-        found = (_last(points, low, start + limit) for low in (max(done, start + limit // 2), done) for points in ranks)
-        cut = next((p for p in found if p is not None), None)
-        natural, cut = cut is not None, start + limit if cut is None else cut
-        out.append((start, cut, natural))
-        following = every[bisect_right(every, cut)]
-        if following - cut <= limit:
-            low = max(cut - overlap, following - limit, start + 1)
-        else:
-            low = cut if natural else max(cut - overlap, start + 1)
-        start = low
-        for points in (sentences, every):
-            i = bisect_left(points, low)
-            if i < len(points) and points[i] < cut:
-                start = points[i]
-                break
-        else:
-            if natural:
-                start = cut
-        done = cut
-    return [*out, (start, n, True)]
+    good = {m.end() for kind in _BOUNDARIES[:2] for m in kind.finditer(text)} & set(range(1, n))
+    natural = {m.end() for kind in _BOUNDARIES[2:] for m in kind.finditer(text)} | good | {0, n}
+    places = sorted(natural)
+    return greedy_cuts(*_filled(places, [2 if p in good or p in (0, n) else 1 for p in places], limit, overlap), limit, overlap)
 
 
 def cut_times(length: int, segments: list[tuple[int, int]], limit: int = MAX_MS, overlap: int = OVERLAP_MS) -> list[tuple[int, int, bool]]:
     """``(start, end, at a boundary)`` of each piece of a recording of which ``segments`` are spoken."""
-    spoken = sorted((max(a, 0), min(b, length)) for a, b in segments if min(b, length) > max(a, 0))
-    if not spoken:
-        spoken = [(0, length)]
-    blocks: list[list[int]] = []
+    spoken = sorted((max(a, 0), min(b, length)) for a, b in segments if min(b, length) > max(a, 0)) or [(0, length)]
+    # places within a segment that is too long are off every boundary, those within others are poor ones
+    places = sorted({x for s in spoken for x in s} | {0, length})
+    at = np.array(places)
+    depth, long_depth = np.zeros(len(places) + 1, int), np.zeros(len(places) + 1, int)
+    following = np.zeros(len(places) + 1, int)
     for a, b in spoken:
-        if blocks and a < blocks[-1][1]:
-            blocks[-1][1] = max(blocks[-1][1], b)
-        else:
-            blocks.append([a, b])
-    firsts = [a for a, _ in blocks]
-    edges = sorted({x for s in spoken for x in s} | {length})
-
-    def within(t: int) -> list[int] | None:
-        """The block with speech on both sides of ``t``."""
-        i = bisect_left(firsts, t)
-        return blocks[i - 1] if i and t < blocks[i - 1][1] else None
-
-    out, start, done = [], 0, 0
-    while length - start > limit:
-        cut, natural = start + limit, True
-        if (block := within(cut)) is not None:
-            at = block[0] if block[0] > done else _last(edges, done, cut)
-            natural, cut = at is not None, cut if at is None else at
-        out.append((start, cut, natural))
-        following = edges[bisect_right(edges, cut)] if within(cut + 1) or within(cut) else cut + 1
-        if following - cut <= limit:
-            low = max(cut - overlap, following - limit, start + 1)
-        else:
-            low = cut if natural else max(cut - overlap, start + 1)
-        block = within(low)
-        if block is None or not natural:
-            start = low
-        else:
-            i = bisect_left(edges, low)
-            start = min(block[1] if block[1] <= cut else edges[i], cut)
-        done = cut
-    return [*out, (start, length, True)]
+        i, j = np.searchsorted(at, (a, b))
+        for d, on in ((depth, True), (long_depth, b - a > limit)):
+            if on and j > i + 1:
+                d[i + 1] += 1
+                d[j] -= 1
+        following[i] += 1
+        following[j] -= 1
+    inside, inside_long, spoken_after = np.cumsum(depth)[:-1], np.cumsum(long_depth)[:-1], np.cumsum(following)[:-1]
+    rank = [0 if x else 1 if y else 2 for x, y in zip(inside_long, inside)]
+    quiet = {p for p, k in zip(places, spoken_after) if not k}
+    return greedy_cuts(*_filled(places, rank, limit, overlap, quiet), limit, overlap)
 
 
 def _spoken(text: str, a: int, b: int, start: int, end: int) -> str:
@@ -185,8 +200,9 @@ def _cut_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["item_kind", "item_id", "piece_no", "start", "end", "cut_at_boundary", "text"])
 
 
-def pieces(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+def pieces(documents: DataFrame, chunks: DataFrame, with_text: bool = True) -> DataFrame:
     """The pieces of each item above its limit; ``start`` and ``end`` in code points or seconds."""
     docs = long_documents(documents).mapInPandas(_cut_documents, SCHEMA)
     recordings = long_chunks(chunks, "start_s", "end_s", "segments", "text").drop("unbroken")
-    return docs.unionByName(recordings.mapInPandas(_cut_chunks, SCHEMA))
+    out = docs.unionByName(recordings.mapInPandas(_cut_chunks, SCHEMA))
+    return out if with_text else out.drop("text")
