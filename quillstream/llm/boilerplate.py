@@ -36,7 +36,9 @@ HOST_SHARE, ALL_SHARE, SENTENCE_SHARE = 0.3, 0.3, 0.12
 #: A prefix leads to teasers if so many distinct lines go on from it, nearly none of them a sentence.
 PREFIX_LINES, PREFIX_DISTINCT, PREFIX_OPEN = 10, 0.3, 0.95
 
-_TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[^\w\s]|_")
+_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]|_")
+_BULLETS = "-•*–‣▪·"
 _TERMINAL = re.compile(r"[.!?…。！？؟।][\"”»“』」）)]*$")
 _BULLET = re.compile(r"^[-•*–‣▪·]\s")
 _COUNTED = re.compile(r"(?:\s{2,}|　|\()\d+\s*[^\W\d]{0,8}(?: [^\W\d]{0,8})?\)?\.?$")
@@ -84,51 +86,66 @@ def _distinct_articles(group: np.ndarray, article: np.ndarray) -> np.ndarray:
 
 def _block(frame: pd.DataFrame) -> pd.DataFrame:
     """The lines of one block of a host, what the suffix array covers of them, and the counts to merge with other blocks."""
-    ids: dict[str, int] = {}
     stream, stream_of, starts, lengths, page_of, line_rows = [], [], [], [], [], []
     articles: dict[str, int] = {}
     lines_text, prefixes, sections = [], [], []
-    for page_id, url, site, title, text in zip(frame["page_id"], frame["url"], frame["site"], frame["title"], frame["text"]):
+    site = frame["site"].iloc[0] if len(frame) else None
+    found = _HOST.match(site) if isinstance(site, str) else None
+    brand = found[1].replace("-", "") if found else ""
+    brands = re.compile(r"\b(?:%s)\b" % r"\s?".join(map(re.escape, brand)), re.I) if len(brand) > 3 else None
+    read: dict[str, tuple] = {}
+
+    def reading(line: str) -> tuple:
+        """What does not depend on the page: tokens, features, prefix and menu sections; kept, as most lines of a host return."""
+        named = brands.sub("§", line) if brands else line
+        tokens = _TOKEN.findall(_NUMBER.sub("#", named)) or [line]
+        last = line[-12:]
+        terminal = _TERMINAL.search(last) is not None
+        feats = (
+            (TERMINAL if terminal else 0)
+            | (BULLET if line[0] in _BULLETS and _BULLET.match(line) else 0)
+            | (CRUMBS if not terminal and _CRUMBS.search(line) else 0)
+            | (COUNTED if (last[-1].isalnum() or last[-1] in ").") and _COUNTED.search(line[-40:]) else 0)
+            | (LONG if len(tokens) >= 6 or len(line.encode()) >= 30 else 0)
+        )
+        parts = _SECTIONS.split(named) if not terminal else ()
+        menu = ["\x1f".join(_TOKEN.findall(part)) for part in parts[:-1]] if len(parts) >= 3 else ()
+        alone = tokens[0] == "#" and tokens[1:2] and tokens[1].isalpha() and tokens[1][:1].isupper()
+        prefix = "\x1f".join(tokens[: 1 if alone else 2]) if len(tokens) > 2 else ""
+        return tokens, feats, prefix, menu, "\x1f".join(tokens)
+
+    for page_id, url, title, text in zip(frame["page_id"], frame["url"], frame["title"], frame["text"]):
         article = articles.setdefault(url if isinstance(url, str) else f"page {page_id}", len(articles))
-        found = _HOST.match(site) if isinstance(site, str) else None
-        brand = found[1].replace("-", "") if found else ""
-        title = title.strip() if isinstance(title, str) else None
-        brands = re.compile(r"\b(?:%s)\b" % r"\s?".join(map(re.escape, brand)), re.I) if len(brand) > 3 else None
-        rows = text.split("\n")
+        rows = [(no, line) for no, row in enumerate(text.split("\n"), 1) if (line := row.strip())]
+        for _, line in rows:
+            if line not in read:
+                read[line] = reading(line)
         # the last part of a line of crumbs names the page as its title does
-        named_so = {title} | {_CRUMBS.split(r.strip())[-1].strip() for r in rows if _CRUMBS.search(r) and not _TERMINAL.search(r.strip())}
-        for no, row in enumerate(rows, 1):
-            line = row.strip()
-            if not line:
-                continue
-            named = brands.sub("§", line) if brands else line
-            tokens = ["#" if t[0].isdigit() else t for t in _TOKEN.findall(named)] or [line]
-            feats = (
-                (TERMINAL if _TERMINAL.search(line) else 0)
-                | (BULLET if _BULLET.match(line) else 0)
-                | (TITLE if line in named_so else 0)
-                | (CRUMBS if _CRUMBS.search(line) and not _TERMINAL.search(line) else 0)
-                | (COUNTED if _COUNTED.search(line) else 0)
-                | (LONG if len(tokens) >= 6 or len(line.encode()) >= 30 else 0)
-            )
-            if not feats & TERMINAL and len(parts := _SECTIONS.split(named)) >= 3:
-                sections.extend("\x1f".join(_TOKEN.findall(part)) for part in parts[:-1])
+        named_so = {_CRUMBS.split(line)[-1].strip() for _, line in rows if read[line][1] & CRUMBS}
+        if isinstance(title, str):
+            named_so.add(title.strip())
+        for no, line in rows:
+            tokens, feats, prefix, menu, whole = read[line]
             starts.append(len(stream))
             lengths.append(len(tokens) + 1)
             page_of.append(article)
-            line_rows.append((page_id, no, feats))
-            stream.extend(ids.setdefault(t, len(ids) + 1) for t in tokens)
-            stream.append(0)
-            stream_of.extend([article] * (len(tokens) + 1))
-            lines_text.append("\x1f".join(tokens))
-            prefixes.append("\x1f".join(tokens[:1] if tokens[0] == "#" and (len(tokens) < 2 or tokens[1].isalpha()) and tokens[1:2] and tokens[1][:1].isupper() else tokens[:2]) if len(tokens) > 2 else "")
+            line_rows.append((page_id, no, feats | TITLE if line in named_so else feats))
+            sections.extend(menu)
+            stream += tokens
+            stream.append("\n")
+            lines_text.append(whole)
+            prefixes.append(prefix)
         # a separator of its own ends each page, so that no repeat runs over it
-        stream.append(-len(lengths) - 1)
-        stream_of.append(article)
+        stream.append(f"\n{len(lengths)}")
+        stream_of.append(len(stream))
     if not lengths:
-        return pd.DataFrame(columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+        return _row_type(pd.DataFrame({"kind": []}))
     start, length, of = np.array(starts), np.array(lengths), np.array(page_of)
-    tokens = np.array(stream, np.int64)
+    tokens = pd.factorize(np.array(stream, dtype=object))[0].astype(np.int64)
+    edges = np.zeros(len(tokens), bool)
+    edges[np.array(stream_of) - 1] = True
+    page_articles = np.array([articles[u if isinstance(u, str) else f"page {i}"] for i, u in zip(frame["page_id"], frame["url"])])
+    token_article = np.repeat(page_articles, np.diff(np.concatenate([[0], stream_of])))
     n_articles = len(articles)
     levels = suffix_ranks(tokens)
     # whole lines: two overlapping windows of a power of two name the substring
@@ -147,8 +164,8 @@ def _block(frame: pd.DataFrame) -> pd.DataFrame:
     j = int(np.log2(MIN_WINDOW))
     least = max(3, int(np.ceil(HOST_SHARE * n_articles)))
     if j < len(levels) and n_articles >= least:
-        position = np.flatnonzero(tokens >= 0)
-        shared = _distinct_articles(levels[j][position], np.array(stream_of)[position]) >= least
+        position = np.flatnonzero(~edges)
+        shared = _distinct_articles(levels[j][position], token_article[position]) >= least
         edge = np.zeros(len(tokens) + 1, np.int64)
         np.add.at(edge, position[shared], 1)
         np.add.at(edge, np.minimum(position[shared] + MIN_WINDOW, len(tokens)), -1)
@@ -172,11 +189,16 @@ def _block(frame: pd.DataFrame) -> pd.DataFrame:
     by_prefix = by_prefix[by_prefix["n"] > 0].assign(kind=2)
     whole_block = pd.DataFrame({"kind": [3], "pages": [n_articles]})
     by_section = pd.DataFrame({"line": _hashes(sections)}).groupby("line").size().reset_index(name="n").assign(kind=4)
-    out = pd.concat([rows, lines, by_prefix, whole_block, by_section], ignore_index=True)
-    for c in ("page_id", "line_no", "line", "prefix", "feats", "n", "pages", "first_key", "last_key"):
-        out[c] = out[c].astype("Int32" if c in ("line_no", "feats") else "Int64")
-    out["covered"] = out["covered"].astype("boolean")
-    return out[[c.split()[0] for c in _SCHEMA.split(", ")]]
+    return pd.concat([_row_type(part) for part in (rows, lines, by_prefix, whole_block, by_section)], ignore_index=True)
+
+
+def _row_type(part: pd.DataFrame) -> pd.DataFrame:
+    """All columns of the block's rows; what a kind of row lacks is 0."""
+    columns = {}
+    for name, kind in (c.split() for c in _SCHEMA.split(", ")):
+        dtype = {"int": np.int32, "bigint": np.int64, "boolean": bool}[kind]
+        columns[name] = part[name].to_numpy().astype(dtype) if name in part else np.zeros(len(part), dtype)
+    return pd.DataFrame(columns)
 
 
 def _by_host_blocks(pages: DataFrame) -> DataFrame:
