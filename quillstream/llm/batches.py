@@ -1,7 +1,7 @@
 """Deduplicating batches against all history by an incremental inverted index (problem 4).
 
-A text is the multiset of its word pairs, ordered from rare to frequent by a table frozen with the
-first batch. The index holds, for each accepted text, postings of its rarest pairs only, as many
+A text is the multiset of its word triples, ordered from rare to frequent by a table frozen with the
+first batch. The index holds, for each accepted text, postings of its rarest triples only, as many
 as two texts above the threshold must share one of (prefix filter). A batch probes the postings
 with its own prefixes, keeps partners of a fitting length, verifies the overlap on the records of the
 candidates, and appends the postings of its new texts. Texts of earlier batches are not read again.
@@ -12,7 +12,7 @@ large, costs one entry. Acceptance goes by arrival: within a batch rows wait for
 may repeat, and rounds go on until none waits.
 
 Defined results: ids that cannot be read are compared as they stand, null ids match nothing; a version
-given nowhere is 1; a row without any word pair repeats others by id and version only; rows with a null
+given nowhere is 1; a row without any word triple repeats others by id and version only; rows with a null
 ``ann_id`` or batch are left out; equal rows of one ``ann_id`` are one row.
 """
 
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from quillstream.staging import Staging
 
-#: Two texts agree if they share so much of the longer one's word pairs; one word in ten changes two pairs in ten.
-AGREE = 0.7
-#: Words in a larger share of the first batch's rows get a rarity class; there are at most (words per row) / share of them.
-FREQUENT = 0.001
+#: Two texts agree if they share so much of the longer one's word triples; one word in ten changes three triples in ten.
+AGREE = 0.6
+#: Triples in a larger share of the first batch's rows are ordered by frequency, behind all others. The table of them is
+#: the only one sent to every worker: it has at most (triples per row) / share entries, however many rows there are.
+FREQUENT = 1e-4
 PARTS = 16
 
 _ID = r"([a-z-]+(?:\.[a-z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v(\d+))?"
@@ -50,19 +51,17 @@ def words_of(title: str | None, abstract: str | None) -> list[str]:
     return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text)
 
 
-def _pairs(words: list[str], rarity: dict[str, int]) -> list[int]:
-    """Hashes of the word pairs, repeats numbered, rare ones first."""
-    if len(words) < 2:
+def _triples(words: list[str]) -> list[int]:
+    """Hashes of the word triples, repeats numbered."""
+    if len(words) < 3:
         return []
     seen: Counter = Counter()
-    keyed, classes = [], []
-    for a, b in zip(words, words[1:]):
-        seen[a, b] += 1
-        keyed.append(f"{a} {b} {seen[a, b]}")
-        classes.append(rarity.get(a, 0) + rarity.get(b, 0))
+    keyed = []
+    for triple in zip(words, words[1:], words[2:]):
+        seen[triple] += 1
+        keyed.append(f"{' '.join(triple)} {seen[triple]}")
     hashes = (pd.util.hash_array(np.array(keyed, dtype=object)) & 0xFFFFFFFF).astype(np.uint32).astype(np.int32)
-    order = np.lexsort((hashes, classes))
-    return list(dict.fromkeys(hashes[order].tolist()))
+    return list(dict.fromkeys(hashes.tolist()))
 
 
 def paper_id(column: Column) -> Column:
@@ -82,35 +81,47 @@ def _prefix(size: Column) -> Column:
     return (size - F.ceil(size * AGREE) + 1).cast("int")
 
 
-def _frequent_words(rows: DataFrame) -> dict[str, int]:
-    """A rarity class (log2 of the number of rows) for words in more than ``FREQUENT`` of the rows."""
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Triples in more than ``FREQUENT`` of the rows, ascending, with the numbers of rows."""
+    least = max(3.0, FREQUENT * rows.count())
+    counts = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    pairs = sorted((r.gram, r.n) for r in counts.toLocalIterator())
+    return np.array([g for g, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64)
 
-    def tokens(frames):
-        for frame in frames:
-            counts = Counter(w for t, a in zip(frame["title"], frame["abstract"]) for w in set(words_of(t, a)))
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}, columns=["word", "n"])
-
-    least = max(2.0, FREQUENT * rows.count())
-    counts = rows.select("title", "abstract").mapInPandas(tokens, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r.word: int(np.log2(r.n)) + 1 for r in counts.toLocalIterator()}
 
-
-def prepare(announcements: DataFrame, first_batch: int = 0) -> DataFrame:
-    """``ann_id, batch_no, pid, key, tid, grams``: normal forms of each row; ``tid`` names its text."""
+def prepare(announcements: DataFrame, st: Staging, first_batch: int = 0) -> DataFrame:
+    """``ann_id, batch_no, pid, key, tid, grams``: normal forms of each row; ``tid`` names its text, ``grams`` go from rare to frequent."""
     rows = announcements.where(F.col("ann_id").isNotNull() & F.col("batch_no").isNotNull()).dropDuplicates(["ann_id"])
-    rarity = _frequent_words(announcements.where(F.col("batch_no") == first_batch))
     schema = "ann_id bigint, batch_no int, pid string, version int, grams array<int>"
 
     def grams(frames):
         for frame in frames:
             out = frame[["ann_id", "batch_no", "pid", "version"]].copy()
-            out["grams"] = [_pairs(words_of(t, a), rarity) for t, a in zip(frame["title"], frame["abstract"])]
+            out["grams"] = [_triples(words_of(t, a)) for t, a in zip(frame["title"], frame["abstract"])]
             yield out
 
     read = rows.select("ann_id", "batch_no", paper_id(F.col("id")).alias("pid"), paper_version(F.col("id"), F.col("version")).alias("version"), "title", "abstract")
-    made = read.mapInPandas(grams, schema)
+    made = st.cut(read.mapInPandas(grams, schema), "made")
+    shared = announcements.sparkSession.sparkContext.broadcast(_frequent(made.where(F.col("batch_no") == first_batch)))
+
+    def ordered(frames):
+        frequent, counts = shared.value
+        for frame in frames:
+            sorted_grams = []
+            for grams_of in frame["grams"]:
+                g = np.asarray(grams_of, np.int64)
+                n = np.zeros(len(g), np.int64)
+                if len(frequent) and len(g):
+                    at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
+                    n = np.where(frequent[at] == g, counts[at], 0)
+                sorted_grams.append(g[np.lexsort((g, n))].astype(np.int32))
+            yield frame.assign(grams=sorted_grams)
+
+    out = made.mapInPandas(ordered, schema)
     key = F.when(F.col("pid").isNotNull(), F.concat_ws("v", "pid", "version"))
-    return made.select("ann_id", "batch_no", "pid", key.alias("key"), F.when(F.size("grams") > 0, F.xxhash64("grams")).alias("tid"), "grams")
+    ready = st.cut(out.select("ann_id", "batch_no", "pid", key.alias("key"), F.when(F.size("grams") > 0, F.xxhash64("grams")).alias("tid"), "grams"), "prepared")
+    st.drop(made)
+    return ready
 
 
 def _two_earliest(rows: DataFrame, by: str, prefix: str) -> DataFrame:
@@ -135,6 +146,7 @@ class Index:
         self.records: list[str] = []
         self.classes: DataFrame | None = None
         self.keys: DataFrame | None = None
+        self.key_texts: DataFrame | None = None
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         frames = [self.spark.read.schema(schema).option("basePath", p).parquet(p) for p in paths]
@@ -153,17 +165,27 @@ class Index:
         self.postings.append(f"{base}/postings")
         self.records.append(f"{base}/records")
 
-    def matches(self, texts: DataFrame, own: bool = True) -> DataFrame:
-        """``tid, with``: the texts of the index, and with ``own`` of ``texts`` themselves, that agree with each of ``texts``."""
+    def _kept(self) -> DataFrame:
+        return self._read(self.records, "tid bigint, grams array<int>, part int")
+
+    def with_texts_of_keys(self, rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``ann_id, pid, tid``: each row's own text and those the first batch has under its id and version; and all these texts."""
+        own = rows.select("ann_id", "pid", "tid")
+        more = rows.select("ann_id", "pid", "key").join(self.key_texts, "key").select("ann_id", "pid", "tid")
+        of_rows = self.st.cut(own.unionByName(more).where("tid IS NOT NULL").distinct(), "texts-of-rows")
+        extra = of_rows.select("tid").distinct().join(texts.select("tid"), "tid", "left_anti").withColumn("part", F.pmod(F.col("tid"), F.lit(PARTS)).cast("int"))
+        found = self._kept().join(extra, ["part", "tid"]).select("tid", "grams", F.size("grams").alias("size"))
+        return of_rows, self.st.cut(texts.unionByName(found), "probes")
+
+    def matches(self, texts: DataFrame) -> DataFrame:
+        """``tid, with``: the texts of the index, and of ``texts`` themselves, that agree with each of ``texts``."""
         probe = texts.select("tid", "size", F.explode(F.slice("grams", F.lit(1), _prefix(F.col("size")))).alias("gram"))
         probe = probe.withColumn("part", F.pmod(F.col("gram"), F.lit(PARTS)).cast("int"))
         posted = probe.select("gram", F.col("tid").alias("with"), F.col("size").alias("w_size"), "part")
+        old = self._read(self.postings, "gram int, tid bigint, size int, part int")
+        posted = posted.unionByName(old.select("gram", F.col("tid").alias("with"), F.col("size").alias("w_size"), "part"))
         records = texts.select(F.col("tid").alias("with"), F.col("grams").alias("w_grams"), F.pmod(F.col("tid"), F.lit(PARTS)).cast("int").alias("part"))
-        if self.postings:
-            old = self._read(self.postings, "gram int, tid bigint, size int, part int").select("gram", F.col("tid").alias("with"), F.col("size").alias("w_size"), "part")
-            posted = posted.unionByName(old) if own else old
-            kept = self._read(self.records, "tid bigint, grams array<int>, part int").select(F.col("tid").alias("with"), F.col("grams").alias("w_grams"), "part")
-            records = records.unionByName(kept) if own else kept
+        records = records.unionByName(self._kept().select(F.col("tid").alias("with"), F.col("grams").alias("w_grams"), "part"))
         fits = (F.col("w_size") >= F.ceil(F.col("size") * AGREE)) & (F.col("size") >= F.ceil(F.col("w_size") * AGREE)) & (F.col("tid") != F.col("with"))
         pairs = probe.join(posted, ["part", "gram"]).where(fits).select("tid", "with", "size", "w_size").distinct()
         pairs = pairs.withColumn("part", F.pmod(F.col("with"), F.lit(PARTS)).cast("int"))
@@ -182,14 +204,14 @@ def _texts(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out if known is None else out.join(known.select("tid"), "tid", "left_anti")
 
 
-def _resolve(st: Staging, rows: DataFrame, links: DataFrame, accept_all: bool) -> DataFrame:
-    """``ann_id, pid, key, tid, accepted, m``: what becomes of ``rows`` (``m``: the earliest row of the history each repeats).
+def _resolve(st: Staging, rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``ann_id, pid, key, tid, m, is`` of each row: 1 accepted, -1 a repeat.
 
-    ``m`` is then the earliest accepted row repeated, before or in the batch.
+    ``m`` comes as the earliest row of the history that each repeats, if any, and goes as the earliest accepted row at all.
     """
     both = links.unionByName(rows.where("tid IS NOT NULL").select("tid", F.col("tid").alias("with")).distinct())
-    state = rows.select("ann_id", "pid", "key", "tid", "m", F.when(F.lit(accept_all), F.lit(1)).when(F.col("m").isNotNull(), F.lit(-1)).otherwise(F.lit(0)).alias("is"))
-    state = st.cut(state, "state")
+    state = rows.select("ann_id", "pid", "key", "tid", "m", F.when(F.col("m").isNotNull(), F.lit(-1)).otherwise(F.lit(0)).alias("is"))
+    state, was = st.cut(state, "state"), None
     while True:
         accepted, waiting = state.where(F.col("is") == 1), state.where(F.col("is") == 0)
         by_text = both
@@ -210,30 +232,36 @@ def _resolve(st: Staging, rows: DataFrame, links: DataFrame, accept_all: bool) -
         status = F.when(F.col("is") != 0, F.col("is")).when(found.isNotNull(), F.lit(-1)).when(waits, F.lit(0)).otherwise(F.lit(1))
         after = st.cut(seen.select("ann_id", "pid", "key", "tid", found.alias("m"), status.alias("is")), "state")
         moved = after.agg(F.sum((F.col("is") == 0).cast("long")).alias("open"), F.sum(F.coalesce("m", F.lit(0)).cast("decimal(38,0)")).alias("m")).first()
-        was = state.agg(F.sum((F.col("is") == 0).cast("long")).alias("open"), F.sum(F.coalesce("m", F.lit(0)).cast("decimal(38,0)")).alias("m")).first()
         st.drop(state)
         state = after
         if moved == was:
             return state
+        was = moved
 
 
 def repeats(announcements: DataFrame, first_batch: int = 0) -> DataFrame:
     """``ann_id_1, ann_id_2``: each row of a later batch that repeats an accepted one, and the earliest such."""
     st = Staging(announcements.sparkSession, "batches")
-    ready = st.cut(prepare(announcements, first_batch), "prepared")
+    ready = prepare(announcements, st, first_batch)
     batches = sorted(r.batch_no for r in ready.select("batch_no").distinct().collect())
     index, found = Index(st), []
+    if first_batch not in batches:
+        batches = [first_batch, *batches]
     for batch in batches:
         rows = ready.where(F.col("batch_no") == batch)
-        texts = st.cut(_texts(rows), "texts")
-        links = st.cut(index.matches(texts), "links")
-        start = rows.select("ann_id", "pid", "key", "tid").withColumn("m", F.lit(None).cast("bigint"))
-        if index.classes is not None:
-            reach = links.unionByName(texts.select("tid", F.col("tid").alias("with"))).join(index.classes.withColumnRenamed("tid", "with"), "with")
-            near = start.select("ann_id", "pid", "tid").join(reach, "tid").select("ann_id", _other("c").alias("c")).groupBy("ann_id").agg(F.min("c").alias("c"))
-            start = start.drop("m").join(near, "ann_id", "left").join(index.keys, "key", "left").select("ann_id", "pid", "key", "tid", F.least("c", "k").alias("m"))
-        state = _resolve(st, start, links, batch == first_batch)
-        if batch != first_batch:
+        start = rows.select("ann_id", "pid", "key", "tid")
+        if batch == first_batch:
+            # accepted whole; what its rows repeat among themselves is looked up where a later row has their id and version
+            state, texts, links, of_rows, probes = start.withColumn("m", F.lit(None).cast("bigint")).withColumn("is", F.lit(1)), None, None, None, None
+            index.key_texts = st.cut(start.where("key IS NOT NULL AND tid IS NOT NULL").select("key", "tid").distinct(), "key-texts")
+        else:
+            texts = st.cut(_texts(rows), "texts")
+            of_rows, probes = index.with_texts_of_keys(start, texts)
+            links = st.cut(index.matches(probes), "links")
+            reach = links.unionByName(probes.select("tid", F.col("tid").alias("with"))).join(index.classes.withColumnRenamed("tid", "with"), "with")
+            near = of_rows.join(reach, "tid").select("ann_id", _other("c").alias("c")).groupBy("ann_id").agg(F.min("c").alias("c"))
+            start = start.join(near, "ann_id", "left").join(index.keys, "key", "left").select("ann_id", "pid", "key", "tid", F.least("c", "k").alias("m"))
+            state = _resolve(st, start, links)
             found.append(state.where(F.col("is") == -1).select(F.col("m").alias("ann_id_1"), F.col("ann_id").alias("ann_id_2")))
         # the history after this batch: texts of accepted rows, their earliest rows, and what each id and version stands for
         new = state.where(F.col("is") == 1)
@@ -248,7 +276,7 @@ def repeats(announcements: DataFrame, first_batch: int = 0) -> DataFrame:
             stands = stands.unionByName(old_keys).groupBy("key").agg(F.min("k").alias("k"))
         index.classes = st.cut(_with_second_pid(rows_of), "classes")
         index.keys = st.cut(stands, "keys")
-        st.drop(texts, links, old_classes, old_keys)
+        st.drop(texts, links, of_rows, probes, old_classes, old_keys)
     out = None
     for frame in found:
         out = frame if out is None else out.unionByName(frame)
