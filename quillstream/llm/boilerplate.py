@@ -58,7 +58,7 @@ def _hashes(parts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(parts, dtype=object)).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
-def suffix_ranks(tokens: np.ndarray, longest: int = 64) -> list[np.ndarray]:
+def suffix_ranks(tokens: np.ndarray, longest: int = MIN_WINDOW) -> list[np.ndarray]:
     """Ranks of all suffixes by their first 1, 2, 4, ... tokens (prefix doubling); the last one orders the suffix array."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
@@ -150,14 +150,14 @@ def _block(frame: pd.DataFrame) -> pd.DataFrame:
     levels = suffix_ranks(tokens)
     # whole lines: two overlapping windows of a power of two name the substring
     level = np.minimum(np.log2(length).astype(int), len(levels) - 1)
-    names = np.empty((len(start), 3), np.int64)
-    names[:, 0] = length
+    pair = np.zeros(len(start), np.int64)
     for j in range(len(levels)):
         at = level == j
-        names[at, 1] = levels[j][start[at]]
-        names[at, 2] = levels[j][np.maximum(start[at] + length[at] - 2**j, start[at])]
+        second = np.maximum(start[at] + length[at] - 2**j, start[at])
+        pair[at] = levels[j][start[at]] * len(tokens) + levels[j][second]
     line_text = _hashes(lines_text)
-    whole = np.unique(np.column_stack([names, line_text]), axis=0, return_inverse=True)[1].reshape(-1)
+    # lines longer than two windows differ in their middle, too
+    whole = np.unique(pair * 1_000_003 ^ line_text, return_inverse=True)[1]
     n_whole = _distinct_articles(whole, of)
     # windows of MIN_WINDOW tokens or more, shared by many articles
     covered = np.zeros(len(start), bool)
