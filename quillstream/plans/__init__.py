@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trees", "identity")
+MODULES = ("trees", "identity", "texts", "listings")
 
 
 def registered() -> tuple[dict, dict]:
