@@ -26,7 +26,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.staging import Staging
@@ -124,17 +124,14 @@ def prepare(announcements: DataFrame, st: Staging, first_batch: int = 0) -> Data
     return ready
 
 
-def _two_earliest(rows: DataFrame, by: str, prefix: str) -> DataFrame:
-    """For each ``by``: the earliest row, and the earliest of another paper id than that."""
-    first = rows.where(F.col(by).isNotNull()).groupBy(by, "pid").agg(F.min("ann_id").alias("ann_id"))
-    best = first.groupBy(by).agg(F.min(F.struct("ann_id", "pid")).alias("one"))
-    other = first.join(best, by).where(~F.col("pid").eqNullSafe(F.col("one.pid"))).groupBy(by).agg(F.min("ann_id").alias("two"))
-    return best.join(other, by, "left").select(by, F.col("one.ann_id").alias(f"{prefix}1"), F.col("one.pid").alias(f"{prefix}p"), F.col("two").alias(f"{prefix}2"))
+def _two_earliest(rows: DataFrame, *by: str) -> DataFrame:
+    """Of each group ``by``: the earliest row, and the earliest of another paper id than that.
 
-
-def _other(prefix: str) -> Column:
-    """The earliest row of another paper id than ``pid``."""
-    return F.when(F.col(f"{prefix}p").eqNullSafe(F.col("pid")), F.col(f"{prefix}2")).otherwise(F.col(f"{prefix}1"))
+    Ranks are cut off before the shuffle, too (group limit), so that a hot group is never gathered.
+    """
+    first = rows.where(F.col(by[0]).isNotNull()).groupBy(*by, "pid").agg(F.min("ann_id").alias("ann_id"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("ann_id"))
+    return first.withColumn("rank", rank).where("rank <= 2").drop("rank")
 
 
 class Index:
@@ -142,31 +139,26 @@ class Index:
 
     def __init__(self, st: Staging):
         self.st, self.spark = st, st.spark
-        self.postings: list[str] = []
-        self.records: list[str] = []
+        self.batches: list[int] = []
         self.classes: DataFrame | None = None
         self.keys: DataFrame | None = None
         self.key_texts: DataFrame | None = None
 
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
-        frames = [self.spark.read.schema(schema).option("basePath", p).parquet(p) for p in paths]
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        base = f"{self.st.base}/{kind}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/batch={n}" for n in self.batches])
 
-    def append(self, texts: DataFrame, name: str) -> None:
+    def append(self, texts: DataFrame, batch: int) -> None:
         """Add the postings and records of new texts (``tid, size, grams``), partitioned by token and by text."""
-        base = f"{self.st.base}/index-{name}"
         prefix = texts.select("tid", "size", F.explode(F.slice("grams", F.lit(1), _prefix(F.col("size")))).alias("gram"))
         part = lambda c: F.pmod(F.col(c), F.lit(PARTS)).cast("int").alias("part")
-        prefix.select("gram", "tid", "size", part("gram")).repartition(PARTS, "part").sortWithinPartitions("gram").write.partitionBy("part").parquet(f"{base}/postings")
-        texts.select("tid", "grams", part("tid")).repartition(PARTS, "part").sortWithinPartitions("tid").write.partitionBy("part").parquet(f"{base}/records")
-        self.postings.append(f"{base}/postings")
-        self.records.append(f"{base}/records")
+        for kind, rows in (("postings", prefix.select("gram", "tid", "size", part("gram"))), ("records", texts.select("tid", "grams", part("tid")))):
+            path = f"{self.st.base}/{kind}/batch={batch}"
+            rows.repartition(PARTS, "part").sortWithinPartitions(rows.columns[0]).write.partitionBy("part").parquet(path)
+        self.batches.append(batch)
 
     def _kept(self) -> DataFrame:
-        return self._read(self.records, "tid bigint, grams array<int>, part int")
+        return self._read("records", "tid bigint, grams array<int>, batch int, part int").drop("batch")
 
     def with_texts_of_keys(self, rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``ann_id, pid, tid``: each row's own text and those the first batch has under its id and version; and all these texts."""
@@ -182,7 +174,7 @@ class Index:
         probe = texts.select("tid", "size", F.explode(F.slice("grams", F.lit(1), _prefix(F.col("size")))).alias("gram"))
         probe = probe.withColumn("part", F.pmod(F.col("gram"), F.lit(PARTS)).cast("int"))
         posted = probe.select("gram", F.col("tid").alias("with"), F.col("size").alias("w_size"), "part")
-        old = self._read(self.postings, "gram int, tid bigint, size int, part int")
+        old = self._read("postings", "gram int, tid bigint, size int, batch int, part int")
         posted = posted.unionByName(old.select("gram", F.col("tid").alias("with"), F.col("size").alias("w_size"), "part"))
         records = texts.select(F.col("tid").alias("with"), F.col("grams").alias("w_grams"), F.pmod(F.col("tid"), F.lit(PARTS)).cast("int").alias("part"))
         records = records.unionByName(self._kept().select(F.col("tid").alias("with"), F.col("grams").alias("w_grams"), "part"))
@@ -201,7 +193,7 @@ class Index:
 
 def _texts(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     out = rows.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.first("grams").alias("grams")).withColumn("size", F.size("grams"))
-    return out if known is None else out.join(known.select("tid"), "tid", "left_anti")
+    return out if known is None else out.join(known.select("tid").distinct(), "tid", "left_anti")
 
 
 def _resolve(st: Staging, rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,12 +205,11 @@ def _resolve(st: Staging, rows: DataFrame, links: DataFrame) -> DataFrame:
     state = rows.select("ann_id", "pid", "key", "tid", "m", F.when(F.col("m").isNotNull(), F.lit(-1)).otherwise(F.lit(0)).alias("is"))
     state, was = st.cut(state, "state"), None
     while True:
-        accepted, waiting = state.where(F.col("is") == 1), state.where(F.col("is") == 0)
-        by_text = both
-        for frame, name in ((accepted, "a"), (waiting, "w")):
-            by_text = by_text.join(_two_earliest(frame, "tid", name).withColumnRenamed("tid", "with"), "with", "left")
-        near = state.select("ann_id", "pid", "tid").join(by_text.where("a1 IS NOT NULL OR w1 IS NOT NULL"), "tid").select("ann_id", _other("a").alias("a"), _other("w").alias("w"))
-        near = near.groupBy("ann_id").agg(F.min(F.when(F.col("a") < F.col("ann_id"), F.col("a"))).alias("a"), F.min(F.when(F.col("w") < F.col("ann_id"), F.col("w"))).alias("w"))
+        # the texts of accepted and waiting rows that agree with a row's own
+        near = state.select(F.col("ann_id").alias("of"), F.col("pid").alias("own"), "tid").join(both, "tid").drop("tid")
+        near = near.join(_two_earliest(state.where(F.col("is") >= 0), "tid", "is").withColumnRenamed("tid", "with"), "with")
+        near = near.where(~F.col("pid").eqNullSafe(F.col("own")) & (F.col("ann_id") < F.col("of"))).groupBy("of")
+        near = near.agg(F.min(F.when(F.col("is") == 1, F.col("ann_id"))).alias("a"), F.min(F.when(F.col("is") == 0, F.col("ann_id"))).alias("w")).withColumnRenamed("of", "ann_id")
         # rows of the same id and version: accepted, waiting, or repeating something already
         with_key = state.where("key IS NOT NULL")
         by_key = with_key.groupBy("key").agg(
@@ -258,36 +249,25 @@ def repeats(announcements: DataFrame, first_batch: int = 0) -> DataFrame:
             texts = st.cut(_texts(rows), "texts")
             of_rows, probes = index.with_texts_of_keys(start, texts)
             links = st.cut(index.matches(probes), "links")
-            reach = links.unionByName(probes.select("tid", F.col("tid").alias("with"))).join(index.classes.withColumnRenamed("tid", "with"), "with")
-            near = of_rows.join(reach, "tid").select("ann_id", _other("c").alias("c")).groupBy("ann_id").agg(F.min("c").alias("c"))
+            classes = index.classes.select(F.col("tid").alias("with"), F.col("pid").alias("other"), F.col("ann_id").alias("c"))
+            reach = links.unionByName(probes.select("tid", F.col("tid").alias("with"))).join(classes, "with")
+            near = of_rows.join(reach, "tid").where(~F.col("pid").eqNullSafe(F.col("other"))).groupBy("ann_id").agg(F.min("c").alias("c"))
             start = start.join(near, "ann_id", "left").join(index.keys, "key", "left").select("ann_id", "pid", "key", "tid", F.least("c", "k").alias("m"))
             state = _resolve(st, start, links)
             found.append(state.where(F.col("is") == -1).select(F.col("m").alias("ann_id_1"), F.col("ann_id").alias("ann_id_2")))
         # the history after this batch: texts of accepted rows, their earliest rows, and what each id and version stands for
         new = state.where(F.col("is") == 1)
-        index.append(_texts(rows.join(new.select("ann_id"), "ann_id", "left_semi"), index.classes), str(batch))
+        index.append(_texts(rows.join(new.select("ann_id"), "ann_id", "left_semi"), index.classes), batch)
         stands = state.where("key IS NOT NULL").groupBy("key").agg(F.min(F.coalesce("m", "ann_id")).alias("k"))
         rows_of = new.select("tid", "pid", "ann_id")
         old_classes, old_keys = index.classes, index.keys
         if old_classes is not None:
-            one = old_classes.select("tid", F.col("cp").alias("pid"), F.col("c1").alias("ann_id"))
-            two = old_classes.where("c2 IS NOT NULL").select("tid", F.col("c2p").alias("pid"), F.col("c2").alias("ann_id"))
-            rows_of = rows_of.unionByName(one).unionByName(two)
+            rows_of = rows_of.unionByName(old_classes)
             stands = stands.unionByName(old_keys).groupBy("key").agg(F.min("k").alias("k"))
-        index.classes = st.cut(_with_second_pid(rows_of), "classes")
+        index.classes = st.cut(_two_earliest(rows_of, "tid").select("tid", "pid", "ann_id"), "classes")
         index.keys = st.cut(stands, "keys")
         st.drop(texts, links, of_rows, probes, old_classes, old_keys)
     out = None
     for frame in found:
         out = frame if out is None else out.unionByName(frame)
     return out if out is not None else ready.select(F.col("ann_id").alias("ann_id_1"), F.col("ann_id").alias("ann_id_2")).limit(0)
-
-
-def _with_second_pid(rows: DataFrame) -> DataFrame:
-    """``tid, c1, cp, c2, c2p``: as ``_two_earliest``, with the second row's paper id, to be merged again."""
-    first = rows.where(F.col("tid").isNotNull()).groupBy("tid", "pid").agg(F.min("ann_id").alias("ann_id"))
-    best = first.groupBy("tid").agg(F.min(F.struct("ann_id", "pid")).alias("one"))
-    other = first.join(best, "tid").where(~F.col("pid").eqNullSafe(F.col("one.pid"))).groupBy("tid").agg(F.min(F.struct("ann_id", "pid")).alias("two"))
-    return best.join(other, "tid", "left").select(
-        "tid", F.col("one.ann_id").alias("c1"), F.col("one.pid").alias("cp"), F.col("two.ann_id").alias("c2"), F.col("two.pid").alias("c2p")
-    )
