@@ -2,8 +2,9 @@
 
 Iterative operators write each round as Parquet under the folder that the session names in
 ``spark.checkpoint.dir``; every executor can read it, so the loss of an executor costs a
-re-read and never the round. Only where the setting is absent (tests, a laptop) a folder of
-our own is made.
+re-read and never the round. Only where the setting is absent on a single machine (tests, a laptop)
+a folder of our own is made; on a cluster its absence is an error, as executors would write to
+their own disks. What a run has staged is deleted at its end, on any file system.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="quillstream-")
         atexit.register(shutil.rmtree, _own_root, True)
@@ -38,10 +42,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _delete_local(path: str) -> None:
-    parts = urlparse(path)
-    if parts.scheme in ("", "file"):
-        shutil.rmtree(parts.path, ignore_errors=True)
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Remove what a run has left; by the file system of the session while it lives, else locally."""
+    try:
+        delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session may have ended before the interpreter does
+        parts = urlparse(path)
+        if parts.scheme in ("", "file"):
+            shutil.rmtree(parts.path, ignore_errors=True)
 
 
 class Staging:
@@ -51,7 +59,7 @@ class Staging:
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        atexit.register(_delete_local, self.base)
+        atexit.register(_delete_at_end, spark, self.base)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a frame that reads the written table."""
