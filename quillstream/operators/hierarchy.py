@@ -156,17 +156,19 @@ def _chains(st: Staging, sizes: DataFrame) -> DataFrame:
 
 
 def _sibling_offsets(heads: DataFrame) -> DataFrame:
-    """For each light child the sizes of the light siblings before it, in id order within blocks.
+    """For each light child the sizes of the light siblings before it, in the order of a hash of the id.
 
-    Two levels of prefix sums: blocks of a hash of the id within the parent, then rows within the
-    block, so that a parent with a third of all rows is spread over many windows.
+    Two levels of prefix sums: blocks by the hash's leading bits within the parent, then rows within the
+    block, so that a parent with a third of all rows is spread over many windows. The order is the same
+    however many blocks there are.
     """
-    per = heads.groupBy("parent").agg((F.floor(F.count("*") / SIBLING_BLOCK) + 1).alias("blocks"))
-    blocked = heads.join(per, "parent").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    bits = F.ceil(F.log2(F.count("*") / SIBLING_BLOCK + 1)).cast("int")
+    per = heads.groupBy("parent").agg(bits.alias("bits"))
+    blocked = heads.join(per, "parent").withColumn("hash", F.shiftrightunsigned(F.xxhash64("id"), 1)).withColumn("block", F.expr("shiftright(hash, 63 - bits)"))
     sums = blocked.groupBy("parent", "block").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("parent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("parent", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("parent", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("parent", "block").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, -1)
     return blocked.join(sums, ["parent", "block"]).select(
         "id", (F.col("base") + F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("earlier")
     )
