@@ -40,6 +40,11 @@ def test_history_is_not_shuffled_again_for_each_batch(costs):
     assert shuffled_eight < 1.1 * shuffled_one < 1.6
 
 
+def test_jobs_do_not_grow_with_batches(costs):
+    (_, jobs_one, _), (_, jobs_eight, _) = costs
+    assert jobs_eight < 1.3 * jobs_one < 300
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 6, 9, 10, 26, 27, 44, 45, 72, 153, 154, 255, 256, 300, 1500])
 def test_pairs_at_the_threshold_share_a_token(size):
     rng = np.random.default_rng(size)
