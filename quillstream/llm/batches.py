@@ -376,7 +376,7 @@ def _resolve(st: Staging, rows: DataFrame, links: DataFrame, first_batch: int) -
 
 def repeats(announcements: DataFrame, first_batch: int = 0) -> DataFrame:
     """``ann_id_1, ann_id_2``: each row of a later batch that repeats an accepted one, and the earliest such."""
-    st = Staging(announcements.sparkSession, "batches")
+    st = Staging(announcements.sparkSession, "batches", drop_shuffles=True)
     pid = paper_id(F.col("id"))
     read = announcements.where(F.col("ann_id").isNotNull() & F.col("batch_no").isNotNull())
     read = read.select("ann_id", "batch_no", pid.alias("pid"), F.when(pid.isNotNull(), F.concat_ws("v", pid, paper_version(F.col("id"), F.col("version")))).alias("key"), "title", "abstract")

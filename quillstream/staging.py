@@ -17,6 +17,9 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files are deleted at its end; else they stay until the driver happens to collect its garbage.
+SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_root: str | None = None
 
 
@@ -53,10 +56,14 @@ def _delete_at_end(spark: SparkSession, path: str) -> None:
 
 
 class Staging:
-    """Writes intermediate tables and deletes those that later rounds have replaced."""
+    """Writes intermediate tables and deletes those that later rounds have replaced.
+
+    ``drop_shuffles``: the shuffle files of each table are deleted, too, as soon as it is written.
+    """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, drop_shuffles: bool = False):
         self.spark = spark
+        self.drop_shuffles = drop_shuffles
         self.base = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         atexit.register(_delete_at_end, spark, self.base)
@@ -65,7 +72,14 @@ class Staging:
         """Write ``df`` once and return a frame that reads the written table."""
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        was = self.spark.conf.get(SHUFFLES, None)
+        if self.drop_shuffles:
+            self.spark.conf.set(SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            if self.drop_shuffles:
+                self.spark.conf.unset(SHUFFLES) if was is None else self.spark.conf.set(SHUFFLES, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
